@@ -17,7 +17,7 @@ _IS_WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (97, 123), (65, 91), (128, 256)):
     _IS_WORD[_a:_b] = True
 _VALUE = (np.arange(256, dtype=U) + U(1)) * U(0xC2B2AE3D27D4EB4F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -31,17 +31,17 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
-def _pow(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
-    if base not in _powers or len(_powers[base][0]) < n:
+    if base not in _kept or len(_kept[base][0]) < n:
         n = max(n, 1 << 16) * 5 // 4
         out = []
         for b in (base, pow(base, -1, 2**64)):
             a = np.full(n, b, U)
             a[0] = 1
             out.append(np.multiply.accumulate(a))
-        _powers[base] = (out[0], out[1])
-    return _powers[base]
+        _kept[base] = (out[0], out[1])
+    return _kept[base]
 
 
 class Words:
@@ -72,7 +72,7 @@ class Words:
         inner = inner[inner > 0]
         ends[inner] = inside[inner - 1]
         self.end = np.flatnonzero(ends)
-        up, down = _pow(_BASE, len(raw) + 1)
+        up, down = powers(_BASE, len(raw) + 1)
         total = np.zeros(len(raw) + 1, U)
         np.cumsum(_VALUE[raw] * down[: len(raw)], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * up[self.start])
@@ -88,7 +88,7 @@ class Words:
         n = len(self.hash)
         if n < k:
             return np.zeros(n, U), np.zeros(n, bool)
-        up, down = _pow(_WBASE, n + 1)
+        up, down = powers(_WBASE, n + 1)
         total = np.zeros(n + 1, U)
         np.cumsum(self.hash * down[:n], out=total[1:])
         out = np.zeros(n, U)
