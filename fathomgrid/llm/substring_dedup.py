@@ -158,10 +158,14 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     # Each end of a run is joined with the run that holds the first place of the same edge.
     ends = runs.select("run", F.explode(F.array(F.struct(F.col("a_doc").alias("d"), F.col("a_at").alias("p")), F.struct(F.col("b_doc").alias("d"), F.col("b_at").alias("p")))).alias("e")).select("run", "e.d", "e.p").distinct()
     holder = runs.select(F.col("run").alias("held"), F.col("doc_id").alias("d"), "start", (F.col("start") + F.col("edges")).alias("stop"))
-    ties = ends.join(holder, "d").where("p >= start and p < stop").select(F.col("run").alias("a"), F.col("held").alias("b"))
-    paths = connected_components(ties)
-    return runs.join(paths, runs.run == paths.id, "left").select(
-        "doc_id", F.col("start").alias("start_word"), (F.col("edges") + (least - 1)).alias("n_words"), F.coalesce("root", "run").alias("path_id"), "places"
+    # A run is tied to one or two holders. Copies have the same two, so the graph that remains is of holders alone.
+    tied = ends.join(holder, "d").where("p >= start and p < stop").groupBy("run").agg(F.min("held").alias("a"), F.max("held").alias("b"))
+    tied = written(tied, "holders")
+    holders = tied.select(F.explode(F.array("a", "b")).alias("run")).distinct()
+    links = tied.where("a <> b").select("a", "b").unionByName(tied.join(holders, "run", "left_semi").where("run <> a").select(F.col("run").alias("a"), F.col("a").alias("b")))
+    paths = connected_components(links)
+    return runs.join(tied.select("run", "a"), "run").join(paths, F.col("a") == paths.id, "left").select(
+        "doc_id", F.col("start").alias("start_word"), (F.col("edges") + (least - 1)).alias("n_words"), F.coalesce("root", "a").alias("path_id"), "places"
     )
 
 
