@@ -12,7 +12,8 @@ from fathomgrid.operators.index import SearchIndex
 from fathomgrid.plans import query as Q
 from fathomgrid.plans.compile import resolved, scored
 
-_ORDER = (F.col("score").desc(), F.col("doc_id").asc())
+def _order() -> tuple[Column, Column]:
+    return F.col("score").desc(), F.col("doc_id").asc()
 
 
 def _checked(k: int, per_partition: int | None) -> None:
@@ -27,9 +28,9 @@ def light_search(index: SearchIndex, query: Q.Query, max_hits: int, max_hits_per
     _checked(max_hits, max_hits_per_partition)
     hits = scored(query, index)
     if max_hits_per_partition is not None:
-        rank = F.row_number().over(W.partitionBy("__p").orderBy(*_ORDER))
+        rank = F.row_number().over(W.partitionBy("__p").orderBy(*_order()))
         hits = hits.withColumn("__p", F.spark_partition_id()).withColumn("__r", rank).where(F.col("__r") <= max_hits_per_partition).select("doc_id", "score")
-    return hits.orderBy(*_ORDER).limit(max_hits)
+    return hits.orderBy(*_order()).limit(max_hits)
 
 
 def with_documents(hits: DataFrame, index: SearchIndex) -> DataFrame:
@@ -38,7 +39,7 @@ def with_documents(hits: DataFrame, index: SearchIndex) -> DataFrame:
 
 def search(index: SearchIndex, query: Q.Query, max_hits: int, max_hits_per_partition: int | None = None, transform: list[Column] | None = None) -> DataFrame:
     """The best hits with their documents' stored columns, or with the columns that `transform` makes of them."""
-    out = with_documents(light_search(index, query, max_hits, max_hits_per_partition), index).orderBy(*_ORDER)
+    out = with_documents(light_search(index, query, max_hits, max_hits_per_partition), index).orderBy(*_order())
     return out.select("doc_id", "score", *transform) if transform is not None else out
 
 
@@ -52,7 +53,7 @@ Queries = Iterable[tuple[int, Q.Query]]
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
     """The k best of each query_id, with their rank."""
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*_ORDER))).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*_order()))).where(F.col("rank") <= k)
 
 
 def clause_hits(clauses: DataFrame, index: SearchIndex) -> DataFrame:

@@ -144,9 +144,8 @@ _BATCH_SQL = words() + """, h AS (SELECT 1 AS query_id, doc_id, sum(s) AS score
     UNION ALL SELECT 5, doc_id, s FROM w WHERE term = 'the' AND doc_id NOT IN (SELECT doc_id FROM post WHERE term = 'of'))
     SELECT query_id::BIGINT AS query_id, doc_id, score, rank::INTEGER AS rank FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM h) WHERE rank <= 10"""
 register("batch_search_light", _BATCH_SQL)(lambda spark, d: S.light_batch_search(index(spark, d), _BATCH, 10))
-_FLAT = ["query_id", F.explode_outer("hits").alias("h")]
 register("batch_search", f"SELECT i.query_id, b.doc_id, b.score, lang FROM (SELECT unnest([1, 2, 3, 4, 5])::BIGINT AS query_id) i LEFT JOIN ({_BATCH_SQL}) b USING (query_id) LEFT JOIN documents USING (doc_id)")(
-    lambda spark, d: S.batch_search(index(spark, d), _BATCH, 10, [F.col("lang")]).select(*_FLAT).select("query_id", "h.doc_id", "h.score", "h.lang")
+    lambda spark, d: S.batch_search(index(spark, d), _BATCH, 10, [F.col("lang")]).select("query_id", F.explode_outer("hits").alias("h")).select("query_id", "h.doc_id", "h.score", "h.lang")
 )
 register("batch_raw", words() + "SELECT 1::BIGINT AS query_id, doc_id, score, rank::INTEGER AS rank FROM (SELECT doc_id, round(sum(s), 6) AS score, row_number() OVER (ORDER BY round(sum(s), 6) DESC, doc_id) AS rank FROM w WHERE term IN ('the', 'und') GROUP BY doc_id) WHERE rank <= 5")(
     lambda spark, d: S.light_batch_search_raw(index(spark, d), [(1, "The und")], 5)

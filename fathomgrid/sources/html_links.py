@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _LINK = r"""(?is)<(?:a|area|frame|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _absolute(base: pd.Series, link: pd.Series) -> pd.Series:
     from urllib.parse import urljoin, urlsplit
 

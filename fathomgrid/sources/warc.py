@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
 from typing import IO
 
@@ -56,7 +57,7 @@ def read_warc(spark: SparkSession, path: str, batch: int = 16 << 20) -> DataFram
             for p in b.column(0).to_pylist():
                 system, at = fs.FileSystem.from_uri(p if "://" in p else "file://" + p.removeprefix("file:"))
                 with system.open_input_stream(at, compression=None) as raw:
-                    source = gzip.open(raw) if p.endswith(".gz") else raw
+                    source = gzip.open(raw) if p.endswith(".gz") else io.BufferedReader(raw, 1 << 20)
                     rows, held = [], 0
                     for n, (known, length, rest, content) in enumerate(records(source), 1):
                         rows.append((n, *known, length, list(rest.items()), content, p))
