@@ -120,6 +120,28 @@ def test_licenses(spark, docs, none):
     assert licenses(none).count() == 0
 
 
+def test_licenses_finds_every_line_that_is_planted(spark):
+    from collections import Counter
+
+    from fathomgrid.llm.queries import op8_license_scans
+
+    lines = {"GPL-3.0": "licensed under the GNU General Public License, version 3.", "LicenseRef-Proprietary": "All rights reserved.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("text is not null").collect()
+    want = Counter((r.doc_id, name) for r in rows for name, line in lines.items() if line in r.text)
+    got = Counter((r.doc_id, r.license) for r in op8_license_scans(spark, "/root/testdata/sf0.1").collect() if r["from"] is None)
+    assert got == want and {name for _, name in want} == set(lines)
+
+
+def test_licenses_creative_commons_and_notices(spark):
+    texts = {
+        "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "CC-BY-NC-SA-3.0": "Licensed under CC BY-NC-SA 3.0.", "CC-BY-ND-4.0": "SPDX-License-Identifier: CC-BY-ND-4.0", "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-SA-2.0": "see https://creativecommons.org/licenses/by-sa/2.0/", "LicenseRef-Proprietary": "Copyright 2020 the authors. All rights reserved.", "MIT": "All rights reserved. Released under the MIT License",
+    }
+    rows = [(i, str(i), f"{prose(20)}\n{t}\n{prose(20)}") for i, t in enumerate(texts.values())]
+    got = licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()
+    assert {r.doc_id: r.license for r in got} == dict(enumerate(texts))
+
+
 def test_pii(docs, none):
     got = pii.personal_data(docs).collect()
     assert [(r.doc_id, r.kind, TEXTS[12][r.start : r.end]) for r in sorted(got, key=lambda r: r.start)] == [(12, "email", "ann.lee@mail.example.org"), (12, "phone", "+1 (743) 555-3824")]
