@@ -62,6 +62,49 @@ def test_near_dedup(docs, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    from fathomgrid.llm.near_dedup import MOST, fingerprints
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    prints = sorted(fingerprints(docs).collect())
+    ids, f = np.array([r[0] for r in prints]), np.array([r[1:] for r in prints], np.int64).view(np.uint64)
+    pairs = np.concatenate([np.stack([np.full(len(j), i), j], 1) for i in range(len(f)) if len(j := i + 1 + np.flatnonzero(np.bitwise_count(f[i] ^ f[i + 1 :]).sum(1) <= MOST))])
+    root = np.arange(len(f))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = np.array([find(i) for i in range(len(f))])
+    keep = {r.doc_id: r.keep_id for r in near_duplicates(docs).collect()}
+    got = np.array([keep.get(i, i) for i in ids.tolist()])
+    words = {r.doc_id: r.n for r in docs.select("doc_id", F.regexp_count("text", F.lit(r"\S+")).alias("n")).collect()}
+    short = np.array([min(words[ids[a]], words[ids[b]]) < 100 for a, b in pairs])
+    two = np.bincount(want)[want[pairs[:, 0]]] == 2
+    met = got[pairs[:, 0]] == got[pairs[:, 1]]
+    recall = {k: (int(met[m].sum()), int(m.sum())) for k, m in {"all": met | True, "short": short, "long": ~short, "two": two}.items()}
+    print(recall)
+    assert all(n and hit >= 0.9 * n for hit, n in recall.values()), recall
+    assert (ids[want] == got).all(), recall
+
+
+def test_pairs_at_the_greatest_distance_meet(spark):
+    from fathomgrid.llm.near_dedup import MOST, verified_pairs
+
+    rng = np.random.default_rng(5)
+    f = rng.integers(0, 2**63, (3000, 3), dtype=np.uint64)
+    for i in range(0, 3000, 2):  # groups of two
+        f[i + 1] = f[i]
+        for bit in rng.choice(192, MOST, replace=False):
+            f[i + 1, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    rows = spark.createDataFrame([(*map(int, x), i) for i, x in enumerate(f.view(np.int64))], "f0 long, f1 long, f2 long, rep long")
+    assert {(r.a, r.b) for r in verified_pairs(rows).collect()} == {(i, i + 1) for i in range(0, 3000, 2)}
+
+
 def test_every_set_of_matches_holds_a_triple():
     from itertools import combinations
 
