@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomgrid.llm.common import text_slices, written
+from fathomgrid.llm.common import text_slices, without, written
 from fathomgrid.llm.textvec import Words, mix
 
 RADIUS, SLOTS = 15, 1 << 20
@@ -181,4 +181,4 @@ def leaks(docs: DataFrame, bench: DataFrame, similarity: float = 0.6, slots: int
 
 def decontaminate(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """docs without those that hold a benchmark item; a null doc_id stays."""
-    return docs.join(leaks(docs, bench, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, written(leaks(docs, bench, **options).select("doc_id").distinct(), "leaks"))

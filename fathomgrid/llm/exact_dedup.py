@@ -2,24 +2,37 @@
 
 A streaming aggregation keyed by the SHA-256 of the text keeps, in a RocksDB state store and with no watermark (so no
 entry ever expires), the stable identifier and the content locator (file and row) of the first document by id, and the
-count. The whole path is JVM-side. Each micro-batch writes the entries that it changed to the shared folder; the last
-version of an entry is the state. A hit is a digest with more than one document: both contents are then fetched by
-identifier and locator and their bytes compared in full, so a digest collision never removes a document.
-
-Cases: null texts equal each other no more than SQL nulls do: they are all kept. Empty texts are equal texts. Of rows
-that repeat the doc_id too, the first by locator stays. A null doc_id sorts last. Empty tables give empty results;
-columns of the table with any other name are carried, never read.
+count. The stream is JVM-side, and copies of one text combine before they are shuffled. Each micro-batch writes the
+entries that it changed to the shared folder; the last version of an entry is the state. With a `checkpoint` of one's
+own, state lasts from run to run: a later run reads new files only and meets the documents of earlier ones.
+
+A hit is a digest with more than one document. Digests and locators alone say which rows hit; then the contents of these
+rows are fetched by their locators and compared in full: where all texts of a digest are one text, its rows are copies,
+and where they are not, each distinct text keeps its own first document. No text but those of hits is moved, and of
+these only distinct ones, combined before the shuffle. A digest of more than `hot` rows meets them by a broadcast of
+such digests, of which there are at most a `hot`-th of the rows.
+
+Cases: null texts equal each other no more than SQL nulls do: they are all kept. Empty texts are equal texts, and a text
+of any length is compared whole. Of rows that repeat the doc_id too, the first by locator stays, so ties are of no
+account. A null doc_id sorts last. Empty tables give empty results. Columns of the table with any other name, those that
+look like internal or metadata columns included, are carried, never read. A table that is not files as they lie (a
+filter, some files of a folder, several folders) is written to the shared folder first.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomgrid.llm.common import fresh_path, written
+from fathomgrid.llm.common import columns, fitted, free, fresh_path, written
+from fathomgrid.llm.locate import fetched, file_key, is_scan, row_groups, row_key
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_ID, _FILE, _ROW, _DIGEST = "__id", "__file", "__row", "__digest"
+HOT = 1 << 20
+_FIRST = "struct<none: boolean, id: bigint, f: bigint, row: bigint>"
 
 
 def sha256(text: Column) -> Column:
@@ -27,82 +40,106 @@ def sha256(text: Column) -> Column:
 
 
 def _located(df: DataFrame, digest) -> DataFrame:
-    return df.withColumns({_ID: F.col("doc_id").cast("long"), _FILE: F.col("_metadata.file_path"), _ROW: F.col("_metadata.row_index"), _DIGEST: digest(F.col("text"))})
+    """(digest, id, f, row) of the rows that have a text."""
+    return df.where(df["text"].isNotNull()).select(digest(df["text"]).alias("digest"), df["doc_id"].cast("long").alias("id"), file_key(df).alias("f"), row_key(df).alias("row"))
 
 
 def _key() -> Column:
-    return F.struct(F.col(_ID).isNull().alias("n"), F.col(_ID).alias("id"), F.col(_FILE).alias("file"), F.col(_ROW).alias("row"))
+    return F.struct(F.col("id").isNull().alias("none"), "id", "f", "row")
 
 
-def dedup_state(spark: SparkSession, path: str, digest=sha256, files_per_batch: int | None = None, label: str = "dedup") -> DataFrame:
+def dedup_state(spark: SparkSession, path: str, digest=sha256, files_per_batch: int | None = None, checkpoint: str | None = None) -> DataFrame:
     """(digest, first, n) after all files of `path` have gone through the stateful stream, once each."""
-    table = spark.read.parquet(path)
-    schema = table.schema
-    if [f.rpartition("/")[2] for f in table.inputFiles()] == [path.rstrip("/").rpartition("/")[2]]:
+    schema = spark.read.parquet(path).schema
+    if spark.read.parquet(path).inputFiles() == [_uri(path)]:
         path = f"{path[:-1]}[{path[-1]}]"  # a stream takes one file only as a pattern
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch or 1 << 30)
-    stream = _located(reader.parquet(path), digest).where("text is not null")
-    state = stream.groupBy(F.col(_DIGEST).alias("digest")).agg(F.min(_key()).alias("first"), F.count("*").alias("n"))
-    out, at = fresh_path(spark, f"{label}-state"), fresh_path(spark, f"{label}-stream")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch or 1 << 30).parquet(path)
+    state = _located(stream, digest).groupBy("digest").agg(F.min(_key()).alias("first"), F.count("*").alias("n"))
+    at = checkpoint or fresh_path(spark, "dedup-state")
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
     def sink(changed: DataFrame, batch: int) -> None:
-        changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch:06d}")
+        changed.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{at}/changes/at={batch:09d}")
 
     try:
-        query = state.writeStream.outputMode("update").option("checkpointLocation", at).foreachBatch(sink).trigger(availableNow=True).start()
+        query = state.writeStream.outputMode("update").option("checkpointLocation", f"{at}/stream").foreachBatch(sink).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         if provider is None:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
         else:
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    kind = "struct<n: boolean, id: bigint, file: string, row: bigint>"
-    try:
-        changes = spark.read.parquet(out)
-    except Exception as e:  # no batch ran: the input has no files
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return spark.createDataFrame([], f"digest binary, first {kind}, n bigint")
-    if query.lastProgress is None or query.lastProgress["batchId"] == 0:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/changes")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # no batch ran: the input has no files
+        return spark.createDataFrame([], f"digest binary, first {_FIRST}, n bigint")
+    changes = spark.read.schema(f"digest binary, first {_FIRST}, n bigint, batch int").parquet(f"{at}/changes")
+    if checkpoint is None and query.lastProgress is not None and query.lastProgress["batchId"] == 0:
         return changes.select("digest", "first", "n")
     return changes.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "batch").alias("v")).select("digest", "v.first", "v.n")
 
 
-def _resolved(spark: SparkSession, path: str, digest, files_per_batch: int | None) -> DataFrame:
-    """(id, file, row, keep_id, keep_file, keep_row) of every row that is a verified copy of another that stays."""
-    hits = dedup_state(spark, path, digest, files_per_batch).where("n > 1").select("digest", "first")
-    docs = _located(spark.read.parquet(path).select("doc_id", "text", "_metadata"), digest).where("text is not null")
-    met = docs.join(hits, docs[_DIGEST] == hits.digest)
-    same = met.select("digest", "first", _ID, _FILE, _ROW, "text")
-    # Full bytes: within a digest, only equal texts are copies; each distinct text keeps its own first document.
-    group = same.groupBy("digest", "text").agg(F.min(_key()).alias("keep"), F.collect_list(_key()).alias("all"))
-    pair = group.select("keep", F.explode("all").alias("it")).where("it <> keep")
-    return pair.select(F.col("it.id").alias("id"), F.col("it.file").alias("file"), F.col("it.row").alias("row"), F.col("keep.id").alias("keep_id"), F.col("keep.file").alias("keep_file"), F.col("keep.row").alias("keep_row"))
+def _uri(path: str) -> str:
+    return path if "://" in path else f"file://{path.removeprefix('file:')}"
+
+
+def _resolved(spark: SparkSession, path: str, digest, files_per_batch: int | None, checkpoint: str | None, hot: int) -> DataFrame:
+    """(id, f, row, keep_id) of every row that is a verified copy of another that stays."""
+    hits = dedup_state(spark, path, digest, files_per_batch, checkpoint).where("n > 1")
+    docs = spark.read.parquet(path)
+    rows = _located(docs, digest)
+    if not hits.where(F.col("n") > hot).isEmpty():
+        many = written(hits.where(F.col("n") > hot), "dedup-hot")
+        some = rows.join(fitted(many), "digest")
+        rest = rows.join(fitted(many.select("digest")), "digest", "left_anti").join(hits.where(F.col("n") <= hot), "digest")
+        met = some.unionByName(rest)
+    else:
+        met = rows.join(hits, "digest")
+    met = written(met.select("digest", "id", "f", "row", "first"), "dedup-met")
+
+    def visit(part: pa.RecordBatch, has, which):
+        yield pa.RecordBatch.from_arrays([*part.columns[:4], has["text"].take(pa.array(which))], ["digest", "id", "f", "row", "text"])
+
+    texts = fetched(met.select("digest", "id", "f", "row"), row_groups(docs), visit, "digest binary, id long, f long, row long, text string")
+    each = written(texts.groupBy("digest", "text").count().select("digest", "count"), "dedup-texts")
+    if (each.agg(F.sum("count")).first()[0] or 0) != met.count():
+        raise RuntimeError("the table changed while it was read")
+    apart = each.groupBy("digest").count().where("count > 1").select("digest")
+    pairs = met.where(_key() != F.col("first")).select("digest", "id", "f", "row", F.col("first.id").alias("keep_id"))
+    if apart.isEmpty():
+        return pairs.drop("digest")
+    odd = texts.join(apart, "digest")
+    keep = odd.groupBy("digest", "text").agg(F.min(_key()).alias("keep"))
+    odd = odd.join(keep, ["digest", "text"]).where(_key() != F.col("keep")).select("id", "f", "row", F.col("keep.id").alias("keep_id"))
+    return pairs.join(apart, "digest", "left_anti").drop("digest").unionByName(odd)
+
+
+def exact_duplicates(spark: SparkSession, path: str, digest=sha256, files_per_batch: int | None = None, checkpoint: str | None = None, hot: int = HOT) -> DataFrame:
+    """(doc_id, keep_id): each row to remove and the row that stays, of the Parquet table at `path`."""
+    return _resolved(spark, path, digest, files_per_batch, checkpoint, hot).select(F.col("id").alias("doc_id"), "keep_id")
 
 
-def exact_duplicates(spark: SparkSession, path: str, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
-    """(doc_id, keep_id): each row to remove and the row that stays, of the Parquet table at `path`."""
-    return _resolved(spark, path, digest, files_per_batch).select(F.col("id").alias("doc_id"), "keep_id")
+def exact_dedup(docs: DataFrame, digest=sha256, files_per_batch: int | None = None, hot: int = HOT) -> DataFrame:
+    """docs without the copies; docs may be any DataFrame with doc_id and text."""
+    path = _whole(docs) if is_scan(docs) else None
+    if path is None:
+        docs = written(docs.select(columns(docs)), "dedup-in")
+        path = docs.inputFiles()[0].rpartition("/")[0]
+    at = free(docs, "at_f"), free(docs, "at_row")
+    gone = written(_resolved(docs.sparkSession, path, digest, files_per_batch, None, hot).select("f", "row"), "dedup-gone")
+    rows = docs.select(*columns(docs), file_key(docs).alias(at[0]), row_key(docs).alias(at[1]))
+    return rows.join(fitted(gone.toDF(*at)), [*at], "left_anti").select(columns(docs))
 
 
-def exact_dedup(docs: DataFrame, digest=sha256, files_per_batch: int | None = None) -> DataFrame:
-    """docs without the copies; docs may be any DataFrame, which is written to the shared folder if it is not files."""
-    spark = docs.sparkSession
-    files = docs.inputFiles()
+def _whole(docs: DataFrame) -> str | None:
+    """The path that a stream must read to see the rows of docs and no others, or None."""
+    files = set(docs.inputFiles())
     folders = {f.rpartition("/")[0] for f in files}
-    plain = "_metadata" not in docs.columns and len(folders) == 1 and _is_scan(docs)
-    base = docs if plain else written(docs, "dedup-in")
-    if not plain:
-        folders = {f.rpartition("/")[0] for f in base.inputFiles()}
-    path = files[0] if plain and len(files) == 1 else next(iter(folders))
-    gone = _resolved(spark, path, digest, files_per_batch).select(F.col("file").alias(_FILE), F.col("row").alias(_ROW))
-    rows = base.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_ROW))
-    return rows.join(gone, [_FILE, _ROW], "left_anti").select(docs.columns)
-
-
-def _is_scan(df: DataFrame) -> bool:
-    """Whether df is a Parquet table as it lies, no filter or column left out."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return plan.getClass().getSimpleName() == "LogicalRelation" and "HadoopFsRelation" in plan.relation().getClass().getSimpleName()
+    if len(folders) != 1:
+        return None
+    folder = next(iter(folders))
+    if re.search(r"[\[\]{}*?\\%]", folder):
+        return None
+    if len(files) == 1 and not re.search(r"[\[\]{}*?\\%]", file := next(iter(files))):
+        return file
+    return folder if set(docs.sparkSession.read.parquet(folder).inputFiles()) == files else None

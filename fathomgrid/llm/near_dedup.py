@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomgrid.llm.common import connected_components, text_slices, written
+from fathomgrid.llm.common import connected_components, text_slices, without, written
 from fathomgrid.llm.textvec import Words, mix
 
 TABLES, MOST, SAME = 3, 28, 4
@@ -259,4 +259,4 @@ def near_duplicates(docs: DataFrame, tables: int = TABLES, most: int = MOST) ->
 
 def near_dedup(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that near_duplicates() removes."""
-    return docs.join(near_duplicates(docs, **options).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, written(near_duplicates(docs, **options).select("doc_id"), "near-gone"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomgrid.llm.common import text_slices, written
+from fathomgrid.llm.common import text_slices, without, written
 from fathomgrid.llm.textvec import Words, mix
 
 FEATURES = 19
@@ -155,5 +155,4 @@ def scored(docs: DataFrame, labels: DataFrame, host: Column | None = None, path:
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs of which scored() keeps the doc_id. Rows that repeat a doc_id stay if every one of them is kept; a null doc_id stays."""
-    gone = scored(docs, labels, **options).where("not keep").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, written(scored(docs, labels, **options).where("not keep").select("doc_id").distinct(), "rejected"))

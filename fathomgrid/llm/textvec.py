@@ -47,7 +47,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Of a column of n texts: hash of each word, in order; first[i]:first[i + 1] are the words of text i."""
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = True, seed: int = 0):
+        self.seed = seed  # other seeds give other hashes: the bases stay odd
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -72,7 +73,7 @@ class Words:
         inner = inner[inner > 0]
         ends[inner] = inside[inner - 1]
         self.end = np.flatnonzero(ends)
-        up, down = powers(_BASE, len(raw) + 1)
+        up, down = powers(_BASE ^ (seed << 16), len(raw) + 1)
         total = np.zeros(len(raw) + 1, U)
         np.cumsum(_VALUE[raw] * down[: len(raw)], out=total[1:])
         self.hash = mix((total[self.end] - total[self.start]) * up[self.start])
@@ -88,7 +89,7 @@ class Words:
         n = len(self.hash)
         if n < k:
             return np.zeros(n, U), np.zeros(n, bool)
-        up, down = powers(_WBASE, n + 1)
+        up, down = powers(_WBASE ^ (self.seed << 16), n + 1)
         total = np.zeros(n + 1, U)
         np.cumsum(self.hash * down[:n], out=total[1:])
         out = np.zeros(n, U)
