@@ -54,7 +54,7 @@ LABELLED = """
 """.strip()  # noqa: E501
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|noscript|template|iframe|svg|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?P<shut>-->|\Z)|<(?P<raw>script|style|title|noscript|template|iframe|svg|textarea)\b[^>]*>.*?(?P<over></(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?:(?:\"[^\"<]*\"|'[^'<]*'|[^<>\"'])*+>|[^>]*>)|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -89,6 +89,9 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
+        if m["shut"] == "" or m["over"] == "":  # never closed
+            at = len(page)
+            break
         name = m["name"]
         if name is None:
             parts.append(" ") if m["raw"] and parts else None
@@ -102,7 +105,7 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         elif name == "br":
             parts.append(" ")
     if at < len(page):
-        text(page[at:])
+        text(page[at:].partition("<!--")[0])
     close()
     return out
 

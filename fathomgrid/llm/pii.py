@@ -30,7 +30,7 @@ from fathomgrid.llm.trees import Boosted, boost, isotonic
 
 KINDS = ("email", "phone", "card", "ip", "national_id", "iban", "secret")
 _LOCAL = re.compile(r"[\w.+%'-]{1,64}\Z")
-_DOMAIN = re.compile(r"[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}")
+_DOMAIN = re.compile(r"[\w-]{1,63}(?:\.[\w-]{1,63})*+")
 _FORMS = {
     "phone": re.compile(r"(?<![0-9A-Za-z])(?:\+[ ]?|\(|00)?[0-9](?:[ ().\-/]{0,2}[0-9]){6,16}(?![0-9])"),
     "card": re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){11,18}(?![0-9])"),

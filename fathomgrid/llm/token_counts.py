@@ -27,6 +27,8 @@ from fathomgrid.llm.common import fresh_path, written
 
 SEPARATOR = 50256
 BLOCK = 4 << 20
+#: Tasks of a scan for each core.
+SPREAD = 4
 _encoders: dict[str, object] = {}
 
 
@@ -73,7 +75,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str = "/opt/tokenizers", se
 
 
 def blocks(order_or_files: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
-    """(file, block, start, bytes): the blocks of each file that column `file` names."""
+    """(file, block, start, bytes): the blocks of each file that column `file` names; `block` is even, as a token is two bytes."""
+    if block < 2 or block % 2:
+        raise ValueError("a block must hold whole tokens of two bytes")
 
     def run(batches):
         system, root = fs.FileSystem.from_uri(path)
@@ -100,6 +104,8 @@ def scan(parts: DataFrame, path: str, separator: int = SEPARATOR) -> DataFrame:
                 ends = np.flatnonzero(ids == separator) + at // 2
                 yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([k]), pa.array([at // 2]), pa.array([len(ids)]), pa.array([ends], pa.list_(pa.int64()))], ["file", "block", "first", "size", "ends"])
 
+    # The list of blocks is small and would be one task; the work behind it is not. An explicit count keeps the tasks apart.
+    parts = parts.repartition(parts.sparkSession.sparkContext.defaultParallelism * SPREAD, "file", "block")
     return parts.mapInArrow(run, "file string, block long, first long, size long, ends array<long>")
 
 

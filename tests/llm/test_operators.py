@@ -209,7 +209,27 @@ def test_pii_redacted_text(spark):
 def test_html_blocks():
     page = "lead<p>a <b>b</b> <a href=x>c d</a><br>e<!-- <p>no --><script>if (a<b) {}</script><li>&amp; f<title>gone</title><a>g"
     assert html_extraction.blocks(page) == [("lead", 1, 0), ("a b c d e", 5, 2), ("& f g", 3, 1)]
-    assert html_extraction.blocks("<p>a<script>never closed") == [("a", 1, 0)] or html_extraction.blocks("<p>a<script>never closed")[0][0].startswith("a")
+    for rest in ("<script>never closed", "<style>.x{color:red}", "<!-- never > closed", "<!-- never closed"):
+        assert html_extraction.blocks(f"<p>a{rest}") == [("a", 1, 0)]
+    assert html_extraction.blocks("a < b<p>c < d") == [("a < b", 3, 0), ("c < d", 3, 0)]
+
+
+def test_pii_takes_the_whole_address():
+    address = "a.b@one.two.three.four.five.six.seven.eight.nine.ten.example.com"
+    text = f"write {address}."
+    assert [text[a:b] for a, b, kind in pii.candidates(text) if kind == 0] == [address]
+
+
+def test_token_scan_has_many_tasks(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    order = token_counts.write_tokens(docs, path)
+    parts = token_counts.blocks(order, path, 1 << 10)
+    scanned = token_counts.scan(parts, path)
+    n = parts.count()
+    assert n > 8 and scanned.select(F.spark_partition_id()).distinct().count() > 4
+    assert scanned.count() == n
+    with pytest.raises(ValueError):
+        token_counts.blocks(order, path, 3)
     assert html_extraction.blocks("<" * 50_000) == [("<" * 50_000, 1, 0)]
 
 
