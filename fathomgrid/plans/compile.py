@@ -35,6 +35,10 @@ def resolved(q: Q.Query, index: SearchIndex) -> Q.Query:
             return Q.Boost(Q.Terms(q.field, (str(q.value),)), 0.0)
         low = (str(q.value), None) if q.op[0] == ">" else (None, str(q.value))
         return Q.Boost(Q.Pattern(q.field, "range", (*low, q.op == ">=", q.op == "<=")), 0.0)
+    if isinstance(q, Q.Between):
+        if q.field in index.text_fields:
+            return Q.Boost(Q.Pattern(q.field, "range", (q.low, q.high, True, True)), 0.0)
+        return Q.Bool(must=(Q.Compare(q.field, ">=", q.low), Q.Compare(q.field, "<=", q.high)))
     if isinstance(q, Q.InSet) and q.field in index.text_fields:
         return Q.Boost(Q.Terms(q.field, tuple(map(str, q.values))), 0.0)
     return q
@@ -118,6 +122,8 @@ class _Compiled:
         if isinstance(q, Q.Pattern):
             return self._pattern(q)
         self.on_docs = True
+        if q.field not in self.index.text_fields and q.field not in self.index.docs.columns:
+            return F.lit(False), zero
         if isinstance(q, Q.Exists):
             c = self.index.length(q.field) > 0 if q.field in self.index.text_fields else F.col(f"`{q.field}`").isNotNull()
             return c, zero

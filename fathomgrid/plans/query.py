@@ -80,6 +80,15 @@ class Compare(Query):
     value: object
 
 
+@dataclass(frozen=True)
+class Between(Query):
+    """low <= field <= high; on a text field, one term lies within both bounds. Adds nothing to the score."""
+
+    field: str
+    low: str
+    high: str
+
+
 @dataclass(frozen=True)
 class InSet(Query):
     field: str
@@ -155,6 +164,8 @@ class field:  # noqa: N801
     def between(self, low, high) -> Query:
         if low is None or high is None:
             raise ValueError("a range needs both bounds")
+        if isinstance(low, str) and isinstance(high, str):
+            return Between(self.name, low, high)
         return self.ge(low) & self.le(high)
 
     def is_in(self, *values) -> Query:
