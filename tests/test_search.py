@@ -208,3 +208,10 @@ def test_rows_only(spark):
     for name in set(queries.QUERIES) - set(queries.ORACLE_SQL):
         assert queries.QUERIES[name](spark, SF).count() > 0 or name == "italian_stem"
     assert queries.QUERIES["tokenize"](spark, SF).agg(F.count("*")).first()[0] > 0
+
+
+def test_a_string_range_is_met_by_one_term(spark):
+    index = SearchIndex.build(spark.createDataFrame([(1, "a z", "b"), (2, "m", "lb"), (3, "k", "z")], "id int, text string, tag string"), "id", ("text",)).persist()
+    assert ids(T.between("k", "n"), index) == [2, 3]
+    assert ids(field("tag").between("b", "m"), index) == [1, 2]
+    assert ids(field("no such").eq(1), index) == []
