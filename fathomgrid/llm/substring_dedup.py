@@ -274,7 +274,7 @@ def _verified(runs: DataFrame, groups: DataFrame, least: int, seed: int) -> bool
         text, off = _plain(w)
         a = w.first[which] + part.column(2).to_numpy()
         b = a + part.column(3).to_numpy() + (least - 1)
-        yield pa.RecordBatch.from_arrays([*part.columns[4:], pa.array([text[i:j].tobytes() for i, j in zip(off[a], off[b])], pa.binary())], ["f", "row", "at", "words"])
+        yield pa.RecordBatch.from_arrays([*part.columns[4:7], pa.array([text[i:j].tobytes() for i, j in zip(off[a], off[b])], pa.binary())], ["f", "row", "at", "words"])
 
     def differ(part: pa.RecordBatch, has, which):
         w = Words(has["text"], seed=seed)
@@ -306,7 +306,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: i
     _, all_runs = _sound(docs, least, gram, hot)
     runs = all_runs.where("kind = 0").withColumn("run", F.xxhash64("f", "row", "at"))
     # Each end of a run is joined with the run that holds the first place of the same edge: the last one to begin before it.
-    ends = runs.select("run", F.inline(F.array(F.struct(F.col("ff").alias("f"), F.col("frow").alias("row"), F.col("fat").alias("at")), F.struct("lf", "lrow", "lat")))).distinct()
+    ends = runs.select("run", F.inline(F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip(end, ("f", "row", "at")))) for end in (("ff", "frow", "fat"), ("lf", "lrow", "lat")))))).distinct()
     line = runs.select("f", "row", "at", F.lit(0).alias("point"), F.col("run").alias("held")).unionByName(ends.select("f", "row", "at", F.lit(1).alias("point"), F.lit(None).cast("long").alias("held")).distinct())
     line = line.withColumn("held", F.last("held", ignorenulls=True).over(W.partitionBy("f", "row").orderBy("at", "point").rowsBetween(W.unboundedPreceding, 0))).where("point = 1")
     # A run is tied to one or two holders. Copies have the same two, so the graph that remains is of holders alone.

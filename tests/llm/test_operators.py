@@ -155,6 +155,16 @@ def test_substring_against_brute_force(docs, none):
     assert repeated_spans(none).count() == 0
 
 
+def test_substring_copies_are_compared_with_their_first_places(docs):
+    from fathomgrid.llm.locate import row_groups
+    from fathomgrid.llm.substring_dedup import GRAM, HOT, LEAST, _graph, _verified
+
+    groups = row_groups(docs)
+    runs = _graph(docs, groups, LEAST, GRAM, HOT, 0)
+    assert {r.doc for r in runs.where("kind = 1").collect()} == {1, 2, 9} and _verified(runs, groups, LEAST, 0)
+    assert not _verified(runs.withColumn("fat", F.col("fat") + 1), groups, LEAST, 0)
+
+
 def test_licenses(spark, docs, none):
     assert [(r.doc_id, r.license, r.cosine) for r in licenses(docs).collect()] == [(11, "MIT", 1.0)]
     rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/c.py", prose(20)), (3, "a/d/COPYING.txt", "Released under the MIT License."), (4, "a/d/e/f.py", None), (5, "g/h.py", prose(5)), (6, "a/d/own.py", "This work is licensed under the GNU General Public License, version 3."), (7, None, prose(5))]
