@@ -10,8 +10,8 @@ edges is a longer one.
    places or more make it, and is nonbranching where it is the one kept link out of its edge and the one kept link into
    the next. A minimizer of more than `hot` places meets k-mer by k-mer instead, through aggregations that combine
    before the shuffle, so that no list of its places comes together in a task.
-4. Runs over nonbranching links compact within each document first. Joins of the runs' two ends with the first place
-   (source coordinates) of the same edge then tie runs of one path together; their components are the paths.
+4. Runs over nonbranching links compact within each document first. Joins of the runs' parts with the first place
+   (source coordinates) of the same edges then tie runs of one path together; their components are the paths.
 5. Verification is at the source coordinates: the words of every repeated stretch are fetched, combined where they are
    equal, and compared with the words at the first place of their edges. Should any differ, a hash has collided, and all
    is done again with other hashes: what is returned repeats word by word.
@@ -43,7 +43,7 @@ _LOW = U(2**24 - 1)
 _KMER = np.dtype([("h", "<i8"), ("check", "<i4")])
 _CARRIED = "m long, doc long, f long, row long, at int, back long, ahead long, kmers binary"
 _STRETCH = "doc long, f long, row long, at int, edges int, places int, joins int, ff long, frow long, fat int"
-_RUN = "kind int, doc long, f long, row long, at int, edges int, places int, ff long, frow long, fat int, lf long, lrow long, lat int"
+_RUN = "kind int, doc long, f long, row long, at int, edges int, places int, ff long, frow long, fat int"
 
 
 def minimizers(w: Words, q: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,22 +236,26 @@ def _hot(carried: DataFrame) -> DataFrame:
 
 
 def _runs(t: pa.Table) -> pa.RecordBatch:
-    """Of the stretches of some documents in order: runs (kind 0), and what copies one other place (kind 1) or is the first place (kind 2)."""
+    """Of the stretches of some documents in order: runs (kind 0), what copies one other place (kind 1) or is the first place (kind 2), and, under its run's position, each later part of a run that copies another place than the part before it (kind 3)."""
     doc, f, row, at, edges, places, joins, ff, frow, fat = (t.column(c.split()[0]).to_numpy() for c in _STRETCH.split(", "))
     n = len(doc)
     on = (f[1:] == f[:-1]) & (row[1:] == row[:-1]) & (at[1:] == at[:-1] + edges[:-1])
+    linked, copied = on & (joins[:-1] & 2 > 0) & (joins[1:] & 1 > 0), on & (ff[1:] == ff[:-1]) & (frow[1:] == frow[:-1]) & (fat[1:] == fat[:-1] + edges[:-1])
     out = []
-    for kind, tied in ((0, on & (joins[:-1] & 2 > 0) & (joins[1:] & 1 > 0)), (1, on & (ff[1:] == ff[:-1]) & (frow[1:] == frow[:-1]) & (fat[1:] == fat[:-1] + edges[:-1]))):
+    for kind, tied in ((0, linked), (1, copied)):
         a = np.flatnonzero(np.r_[True, ~tied][:n])
-        b = np.r_[a[1:], n][: len(a)] - 1
         own = np.where((ff[a] == f[a]) & (frow[a] == row[a]) & (fat[a] == at[a]), 2, 1) if kind else np.zeros(len(a))
-        out.append((own, doc[a], f[a], row[a], at[a], np.add.reduceat(edges, a) if n else edges, np.minimum.reduceat(places, a) if n else places, ff[a], frow[a], fat[a], ff[b], frow[b], fat[b] + edges[b] - 1))
+        out.append((own, doc[a], f[a], row[a], at[a], np.add.reduceat(edges, a) if n else edges, np.minimum.reduceat(places, a) if n else places, ff[a], frow[a], fat[a]))
+    a = 1 + np.flatnonzero(linked & ~copied)
+    run = np.flatnonzero(np.r_[True, ~linked][:n])
+    run = run[np.searchsorted(run, a, side="right") - 1] if n else a
+    out.append((np.full(len(a), 3), doc[a], f[a], row[a], at[run], edges[a], places[a], ff[a], frow[a], fat[a]))
     kinds = [np.int64 if c.endswith("long") else np.int32 for c in _RUN.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(zip(*out), kinds)], [c.split()[0] for c in _RUN.split(", ")])
 
 
 def _graph(base: DataFrame, groups: DataFrame, least: int, gram: int, hot: int, seed: int) -> DataFrame:
-    """Runs, copies and first places of the table, as _runs has them, written."""
+    """Runs, copies, first places and parts of runs of the table, as _runs has them, written."""
     rows = base.where(base["doc_id"].isNotNull() & base["text"].isNotNull()).select(file_key(base).alias("f"), row_key(base).alias("row"), base["text"].alias("text"))
     places = written(_places(rows, least, gram, seed), "minimizers")
     counts = places.groupBy("h").count().where("count > 1")
@@ -304,17 +308,19 @@ def _sound(docs: DataFrame, least: int, gram: int, hot: int, seed: int = 0) -> t
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, n_words, path_id, places) of each run."""
     _, all_runs = _sound(docs, least, gram, hot)
-    runs = all_runs.where("kind = 0").withColumn("run", F.xxhash64("f", "row", "at"))
-    # Each end of a run is joined with the run that holds the first place of the same edge: the last one to begin before it.
-    ends = runs.select("run", F.inline(F.array(*(F.struct(*(F.col(c).alias(n) for c, n in zip(end, ("f", "row", "at")))) for end in (("ff", "frow", "fat"), ("lf", "lrow", "lat")))))).distinct()
-    line = runs.select("f", "row", "at", F.lit(0).alias("point"), F.col("run").alias("held")).unionByName(ends.select("f", "row", "at", F.lit(1).alias("point"), F.lit(None).cast("long").alias("held")).distinct())
+    parts = all_runs.where("kind in (0, 3)").withColumn("run", F.xxhash64("f", "row", "at"))
+    runs = parts.where("kind = 0")
+    # Each part of a run is joined with the run that holds the first place of its edges: the last one to begin before it.
+    firsts = parts.select("run", F.col("ff").alias("f"), F.col("frow").alias("row"), F.col("fat").alias("at"))
+    line = runs.select("f", "row", "at", F.lit(0).alias("point"), F.col("run").alias("held")).unionByName(firsts.select("f", "row", "at", F.lit(1).alias("point"), F.lit(None).cast("long").alias("held")).distinct())
     line = line.withColumn("held", F.last("held", ignorenulls=True).over(W.partitionBy("f", "row").orderBy("at", "point").rowsBetween(W.unboundedPreceding, 0))).where("point = 1")
-    # A run is tied to one or two holders. Copies have the same two, so the graph that remains is of holders alone.
-    tied = written(ends.join(line.select("f", "row", "at", "held"), ["f", "row", "at"]).groupBy("run").agg(F.min("held").alias("a"), F.max("held").alias("b")), "holders")
-    holders = tied.select(F.explode(F.array("a", "b")).alias("run")).distinct()
-    links = tied.where("a <> b").select("a", "b").unionByName(tied.join(holders, "run", "left_semi").where("run <> a").select(F.col("run").alias("a"), F.col("a").alias("b")))
+    # Runs that share an edge share the holder of its first place, so all of a path are tied. A run hangs on the least of
+    # its holders, and each holder is one of its own: the graph that remains is of holders alone.
+    held = written(firsts.join(line.select("f", "row", "at", "held"), ["f", "row", "at"]).select("run", "held").distinct(), "holders")
+    tied = held.groupBy("run").agg(F.min("held").alias("a"))
+    links = held.join(tied, "run").where("a <> held").select("a", F.col("held").alias("b")).distinct()
     paths = connected_components(links)
-    return runs.join(tied.select("run", "a"), "run").join(paths, F.col("a") == paths.id, "left").select(
+    return runs.join(tied, "run").join(paths, F.col("a") == paths.id, "left").select(
         F.col("doc").alias("doc_id"), F.col("at").alias("start_word"), (F.col("edges") + (least - 1)).alias("n_words"), F.coalesce("root", "a").alias("path_id"), "places"
     )
 
@@ -326,7 +332,7 @@ def repeats_removed(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot:
     row that stands for them, or theirs.
     """
     base, runs = _sound(docs, least, gram, hot)
-    parts = runs.where("kind > 0").groupBy("f", "row").agg(F.collect_list(F.struct("kind", "at", (F.col("at") + F.col("edges") + (least - 1)).alias("to"))).alias("parts"))
+    parts = runs.where("kind in (1, 2)").groupBy("f", "row").agg(F.collect_list(F.struct("kind", "at", (F.col("at") + F.col("edges") + (least - 1)).alias("to"))).alias("parts"))
 
     @F.pandas_udf("string")
     def cut(texts, parts):

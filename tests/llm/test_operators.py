@@ -165,6 +165,35 @@ def test_substring_copies_are_compared_with_their_first_places(docs):
     assert not _verified(runs.withColumn("fat", F.col("fat") + 1), groups, LEAST, 0)
 
 
+def test_substring_paths_are_the_nonbranching_paths_of_the_graph(spark):
+    from collections import Counter
+
+    x, y = prose(300).split(), prose(20).split()
+    # The first document holds the middle of a path only, so no end of the others' runs has its first place there.
+    texts = [x[20:80], x[:100], x[:100], [*x[200:290], *y, *x[210:270]], [*y, *x[190:300], *y[:9]], x[190:300]]
+    edges = [[tuple(t[i : i + 50]) for i in range(len(t) - 49)] for t in texts]
+    places = Counter(e for t in edges for e in t)
+    kept = [link for link, n in Counter(link for t in edges for link in zip(t, t[1:])).items() if n > 1]
+    out, into = Counter(a for a, _ in kept), Counter(b for _, b in kept)
+    root = {e: e for e, n in places.items() if n > 1}
+
+    def find(e):
+        while root[e] != e:
+            e = root[e]
+        return e
+
+    for a, b in kept:
+        if out[a] == into[b] == 1:
+            root[find(a)] = find(b)
+    want = {(i, p): find(e) for i, t in enumerate(edges) for p, e in enumerate(t) if e in root}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for hot in (1 << 17, 1):
+        rows = repeated_spans(docs, hot=hot).collect()
+        got = {(r.doc_id, r.start_word + i): r.path_id for r in rows for i in range(r.n_words - 49)}
+        assert set(got) == set(want) and all(r.places == min(places[edges[r.doc_id][r.start_word + i]] for i in range(r.n_words - 49)) for r in rows)
+        assert len(set(got.values())) == len(set(want.values())) == len({(got[k], want[k]) for k in got})
+
+
 def test_licenses(spark, docs, none):
     assert [(r.doc_id, r.license, r.cosine) for r in licenses(docs).collect()] == [(11, "MIT", 1.0)]
     rows = [(1, "a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "a/b/c.py", prose(20)), (3, "a/d/COPYING.txt", "Released under the MIT License."), (4, "a/d/e/f.py", None), (5, "g/h.py", prose(5)), (6, "a/d/own.py", "This work is licensed under the GNU General Public License, version 3."), (7, None, prose(5))]
