@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathomgrid.deploy import ship
+from fathomgrid.deploy import bounded, ship
 from fathomgrid.llm.common import fresh_path, table
 from fathomgrid.llm.decontaminate import decontaminate
 from fathomgrid.llm.exact_dedup import exact_dedup
@@ -20,30 +20,35 @@ from fathomgrid.llm.quality import quality_filter
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the hierarchical classifier keeps."""
     ship(spark)
+    bounded(spark)
     return quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: the least doc_id."""
     ship(spark)
+    bounded(spark)
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the least doc_id."""
     ship(spark)
+    bounded(spark)
     return near_dedup(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of `benchmark`."""
     ship(spark)
+    bounded(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bin of 2,048 words that each piece of a document goes into."""
     ship(spark)
+    bounded(spark)
     return packed(docs)
 
 

@@ -143,7 +143,7 @@ def leaks(docs: DataFrame, bench: DataFrame, similarity: float = 0.6, slots: int
     live = written(live.mapInArrow(scan, kinds).withColumn("row", F.monotonically_increasing_id()), "windows")
     key = lambda block, x: F.expr(f"n * 262144L + {block} * 65536L + {x}")
     block = lambda b: f"(shiftrightunsigned(fp, {16 * b}) & 65535L)"
-    win = live.select("row", "doc_id", F.inline("windows")).distinct()
+    win = live.select("row", F.inline("windows"))  # one row a window: a row of `live` has each start and size once
     win = win.withColumn("key", F.explode(F.array(*(key(b, block(b)) for b in range(4)))))
     masks = "array(" + ",".join(map(str, _MASKS)) + ")"
     probe = items.select("item_id", "n", "fp", F.expr(f"explode({masks})").alias("mask"))

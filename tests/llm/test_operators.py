@@ -121,6 +121,32 @@ def test_decontaminate(spark, docs, none):
     assert leaks(none, bench).count() == leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_windows_are_not_aggregated(docs):
+    bench = docs.selectExpr("doc_id as item_id", "text").where("doc_id = 13")
+    plan = leaks(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert "fp#" in plan and not [line for line in plan.split("\n") if "Aggregate" in line and "fp#" in line]
+
+
+def test_pipeline_bounds_the_bytes_of_a_batch(spark, tmp_path):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.createDataFrame([(i, "some words " * 20_000) for i in range(40)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    try:
+        assert corpus_pipeline.clean(spark, docs, str(tmp_path)).count() == 40
+        rows = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(rows) == 40 and max(rows) <= 12  # 220 kB a text
+    finally:
+        spark.conf.unset(key)
+
+
 def test_packing(docs, none):
     rows = packing.packed(docs, capacity=128).collect()
     load, words = {}, {}
