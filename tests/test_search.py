@@ -215,3 +215,11 @@ def test_a_string_range_is_met_by_one_term(spark):
     assert ids(T.between("k", "n"), index) == [2, 3]
     assert ids(field("tag").between("b", "m"), index) == [1, 2]
     assert ids(field("no such").eq(1), index) == []
+
+
+def test_a_search_shuffles_a_row_a_document(spark):
+    index = queries.index(spark, SF)
+    assert not index.postings.is_cached
+    for q in (T.parse("the^2.5 OR text:der"), T.match_all("the", "of"), T.match_text("the and der")):
+        assert scored(q, index)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert "Exchange " not in index.postings._jdf.queryExecution().executedPlan().toString()
