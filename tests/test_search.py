@@ -223,3 +223,17 @@ def test_a_search_shuffles_a_row_a_document(spark):
     for q in (T.parse("the^2.5 OR text:der"), T.match_all("the", "of"), T.match_text("the and der")):
         assert scored(q, index)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     assert "Exchange " not in index.postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clauses_keep_the_best_of_each_query_as_they_go(spark):
+    rows = [(i, " ".join("abcd"[(i * j) % 4] for j in range(1, 2 + i % 5)), ["a"] if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, text string, tags array<string>").repartition(3)
+    for config in (SearchConfig(), SearchConfig(similarity="tfidf"), SearchConfig(idf="ttf")):
+        fresh, kept = (SearchIndex.build(df, "id", ("text", "tags"), config=config) for _ in "12")
+        kept = kept.persist()
+        clauses = spark.createDataFrame([(1, "text", "a", 1.0, 1), (1, "text", "b", 2.0, 1), (1, "tags", "a", 1.0, 1), (2, "text", "c", 1.0, 2), (2, "text", "d", 1.0, 2), (3, "text", "zz", 1.0, 1), (None, "text", "b", 1.0, 1)], "query_id int, field string, term string, qtf double, need int")
+        for alone in (False, True):
+            out = J.light_query_join(clauses, fresh, 4, alone)
+            assert sorted(map(str, out.collect())) == sorted(map(str, J.light_query_join(clauses, kept, 4, alone).collect()))
+            assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        kept.unpersist()
