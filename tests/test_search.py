@@ -237,3 +237,19 @@ def test_clauses_keep_the_best_of_each_query_as_they_go(spark):
             assert sorted(map(str, out.collect())) == sorted(map(str, J.light_query_join(clauses, kept, 4, alone).collect()))
             assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
         kept.unpersist()
+
+
+def test_only_words_near_a_stem_go_to_python(spark):
+    ends = "s es ed ing ational tional enci anci izer bli alli entli eli ousli ization ation ator alism iveness fulness ousness aliti iviti biliti logi icate ative alize iciti ical ful ness al ance ement ment ion y ies e i ii chi ghe io ia à".split()
+    words = sorted({b + e for b in ("licens", "conform", "hop", "fiss", "radic", "perché", "sk", "possi", "amic") for e in ends} | {b + e + f for b in ("conform", "oper", "sens") for e in ends for f in ends})
+    for name, stem in (("english", porter_stem), ("italian", italian_light_stem)):
+        at = analyzer(name)
+        rows = spark.createDataFrame([(stem(w), w) for w in words], "stem string, word string")
+        for s in sorted({stem(w) for w in words})[::40]:
+            kept = {w for r in rows.select(at.nearby(F.array("word"), [s]).alias("k")).collect() for w in r.k}
+            assert {w for w in words if stem(w) == s} <= kept < set(words)
+    docs = spark.createDataFrame([(1, "the licenses' versions"), (2, "licensing"), (3, None)], "id int, text string")
+    index = SearchIndex.build(docs, "id", ("text",), config=SearchConfig(index_analyzer=analyzer("english")))
+    q = T.match_text("license version")
+    assert sorted(scored(q, index).collect()) == sorted(scored(q, index.configured(index.config).partitioned(2)).collect()) and ids(q, index) == [1, 2]
+    assert "startswith" in scored(q, index)._jdf.queryExecution().optimizedPlan().toString().lower()
